@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import queries_exact, queries_url
+from tessera.llm import queries_exact, queries_lines, queries_secrets, queries_url
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_secret_scan": queries_secrets.op1_secret_scan,
         "op3_exact_dedup": queries_exact.op3_exact_dedup,
         "op5_url_filter": queries_url.op5_url_filter,
+        "op7_line_dedup": queries_lines.op7_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": queries_exact.SQL, "op5_url_filter": queries_url.SQL}
+    return {
+        "op1_secret_scan": queries_secrets.SQL,
+        "op3_exact_dedup": queries_exact.SQL,
+        "op5_url_filter": queries_url.SQL,
+        "op7_line_dedup": queries_lines.SQL,
+    }
