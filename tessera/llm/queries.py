@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import queries_exact, queries_lines, queries_secrets, queries_url
+from tessera.llm import queries_exact, queries_lines, queries_packing, queries_secrets, queries_url
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": queries_secrets.op1_secret_scan,
+        "op2_packing": queries_packing.op2_packing,
         "op3_exact_dedup": queries_exact.op3_exact_dedup,
         "op5_url_filter": queries_url.op5_url_filter,
         "op7_line_dedup": queries_lines.op7_line_dedup,
