@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import queries_exact, queries_lines, queries_packing, queries_secrets, queries_url
+from tessera.llm import queries_exact, queries_lines, queries_mixing, queries_packing, queries_secrets, queries_url
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_packing": queries_packing.op2_packing,
         "op3_exact_dedup": queries_exact.op3_exact_dedup,
         "op5_url_filter": queries_url.op5_url_filter,
+        "op6_source_mixing": queries_mixing.op6_source_mixing,
         "op7_line_dedup": queries_lines.op7_line_dedup,
     }
 
@@ -26,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_secret_scan": queries_secrets.SQL,
         "op3_exact_dedup": queries_exact.SQL,
         "op5_url_filter": queries_url.SQL,
+        "op6_source_mixing": queries_mixing.SQL,
         "op7_line_dedup": queries_lines.SQL,
     }
