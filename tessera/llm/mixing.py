@@ -95,7 +95,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
 def slots(sources: DataFrame, shard: int = 8192, seed: int = 17) -> DataFrame:
     """One row per slot of the mix: ``shard`` and ``at`` (its place there), ``sid``, ``epoch`` and ``block``."""
     chunks = sources.filter("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(slots - 1) div {CHUNK}"))))
-    chunks = chunks.repartition("sid", "chunk")
+    # A fixed number of tasks: by their few bytes, Spark would put all chunks into one.
+    chunks = chunks.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "chunk")
     own = chunks.withColumn("own", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1)))
     dealt = own.select("sid", "blocks", "all_slots", F.expr("own div blocks").alias("epoch"), (F.col("own") % F.col("blocks")).alias("block"), (F.col("first_slot") + F.col("own")).alias("place"))
     block = permuted(F.col("block"), F.col("blocks"), F.col("sid") * 31 + F.col("epoch") + seed)
