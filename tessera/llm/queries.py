@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import queries_exact, queries_html, queries_lines, queries_mixing, queries_packing, queries_secrets, queries_url
+from tessera.llm import queries_exact, queries_html, queries_lines, queries_mixing, queries_packing, queries_secrets, queries_sketch, queries_url
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op5_url_filter": queries_url.op5_url_filter,
         "op6_source_mixing": queries_mixing.op6_source_mixing,
         "op7_line_dedup": queries_lines.op7_line_dedup,
+        "op8_fingerprints": queries_sketch.op8_fingerprints,
         "op10_html_text": queries_html.op10_html_text,
     }
 
