@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,35 +29,80 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import durable, text_of
 
-#: Words whose ids a worker remembers; beyond this it starts afresh.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers (about 200 bytes each); beyond this it starts afresh.
+REMEMBERED = 800_000
+#: Characters that are tokenised at a time.
+SLICE = 500_000
+#: Ends of words after which a full stop or comma is encoded on its own: ASCII letters and digits, Latin letters of two bytes.
+_LETTER = re.compile(rb"[a-z0-9]$|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]$")
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: How byte-level tokenizers write bytes as characters: printable Latin-1 stands for itself, others follow from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)} | {32: " "}
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer whose words never span white space, remembering the ids of words.
+    """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``, remembering words.
 
-    ``same as`` ``Tokenizer.encode(text, add_special_tokens=False)``: white space separates words, and A-Z are
-    lower-cased by the tokenizer itself, so both may be done before it.
+    For a tokenizer that lower-cases, drops white space, and splits letters from other signs, so that what stands
+    between white space, and the punctuation after a letter, can be encoded alone. Words that are not known are
+    encoded in one call, with a separator between them whose id is known.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, tuple[int, ...]] = {b"": ()}
-
-    def ids(self, text: str) -> np.ndarray:
-        words = text.encode().lower().replace(b"\n", b" ").split(b" ")
-        known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[b""] = ()
-                new = [w for w in set(words) if w]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = tuple(e.ids)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype="<u4")
+        self.known: dict[bytes, bytes] = {b"": b""}
+        (self.separator,) = self._encode("~")
+        # Words of lower-case letters alone pass normalising and splitting unchanged: just the model is run on them.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _parted(self, words: list[bytes], ids: list[int]) -> None:
+        ids = np.array(ids, dtype="<u4")
+        ends = np.flatnonzero(ids == self.separator).tolist()
+        raw = ids.tobytes()
+        for w, begin, end in zip(words, [0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True):
+            self.known[w] = raw[4 * begin : 4 * end]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, new, ends_with = self.known, [], []
+        for w in words:
+            if b"~" in w:
+                known[w] = np.array(self._encode(w.decode()), dtype="<u4").tobytes()
+            elif w[-1] in b".," and _LETTER.search(stem := w.rstrip(b".,")):
+                ends_with.append((w, stem))
+                if stem not in words and stem not in known:
+                    new.append(stem)
+                if (end := w[len(stem) :]) not in words and end not in known:
+                    new.append(end)
+            else:
+                new.append(w)
+        ascii_letters, letters, others = [], [], []
+        for w in dict.fromkeys(new):
+            (ascii_letters if w.isalpha() else letters if _LETTERS.fullmatch(w) else others).append(w)
+        for words, text in ((ascii_letters, None), (letters, _BYTE_CHARS)):
+            if words:
+                joined = b" ~ ".join(words).decode("latin-1")
+                self._parted(words, self.letters.encode_batch_fast([joined.translate(text) if text else joined], add_special_tokens=False)[0].ids)
+        if others:
+            self._parted(others, self._encode(b" ~ ".join(others).decode()))
+        for w, stem in ends_with:
+            known[w] = known[stem] + known[w[len(stem) :]]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = {b"": b""}
+        if unknown := set().union(*split).difference(self.known):
+            self._learn(unknown)
+        known = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)), dtype="<u4") for words in split]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -171,12 +216,22 @@ def pack(
 
     arrow = to_arrow_schema(out)
 
+    def tokenised(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """Ids of each row, tokenised in slices of a bounded number of characters or one text."""
+        tokens, ids, texts, size = tokenizer(tokenizer_path), batch.column(0).to_pylist(), [], 0
+        for i, text in enumerate(batch.column(1)):
+            texts.append(text.as_py())
+            size += len(texts[-1])
+            if size > SLICE or i + 1 == len(ids):
+                yield from zip(ids[i + 1 - len(texts) : i + 1], tokens.ids(texts), strict=True)
+                texts, size = [], 0
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer, done = tokenizer(tokenizer_path), Packer(length, open_windows, max_gap), _Rows(arrow, TaskContext.get().partitionId() << 24)
+        packer, done = Packer(length, open_windows, max_gap), _Rows(arrow, TaskContext.get().partitionId() << 24)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([tokens.ids(text.as_py()), end])
+            for id_, ids in tokenised(batch):
+                ids = np.concatenate([ids, end])
                 whole = len(ids) - len(ids) % length
                 for at in range(0, whole, length):
                     done.add([(id_, at, ids[at : at + length], len(ids))], False)
