@@ -194,12 +194,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
     return fit_chain(names, chosen, [list(r["at"]) for r in got], ys)
 
 
-def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's columns, and last ``probabilities``, an array in the chain's order. ``docs`` must not have a column
-    of that name."""
+def score(docs: DataFrame, chain: Chain, text_col: str = "text", out_col: str = "probabilities") -> DataFrame:
+    """The input's columns, and last ``out_col``, which must be no column of it: probabilities in the chain's order."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    out = T.StructType([*docs.schema.fields, T.StructField("probabilities", T.ArrayType(T.DoubleType()))])
+    out = T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
     arrow = to_arrow_schema(out)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
