@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import durable, text_of
 
 #: Words whose ids a worker remembers (about 200 bytes each); beyond this it starts afresh.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Characters that are tokenised at a time.
 SLICE = 500_000
 #: Ends of words after which a full stop or comma is encoded on its own: ASCII letters and digits, Latin letters of two bytes.
@@ -242,6 +242,7 @@ def pack(
         for window in packer.close():
             done.add(window, True)
         yield done.batch()
+        pa.default_memory_pool().release_unused()
 
     def merger(level: int, final: bool):
         def merge(table: pa.Table) -> pa.Table:

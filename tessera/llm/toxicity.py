@@ -32,7 +32,7 @@ from tessera.llm.common import durable, text_of
 _WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
 #: Words whose features a worker remembers at a time.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def features_of_word(word: str) -> list[str]:
