@@ -84,8 +84,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     share = ((F.col("total") - F.col("full_cap")) * F.col("w")).cast("double") / F.col("open_w")
     per = per.withColumn("target", F.when(F.col("full"), cap.cast("double")).otherwise(share))
     per = per.withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
-    epochs = F.floor(F.col("target") / F.col("source_size"))
-    part = F.floor((F.col("target") - epochs * F.col("source_size")) * F.col("blocks") / F.col("source_size") + 0.5)
+    size = F.nullif(F.col("source_size"), F.lit(0))
+    epochs = F.floor(F.col("target") / size)
+    part = F.floor((F.col("target") - epochs * F.col("source_size")) * F.col("blocks") / size + 0.5)
     per = per.withColumn("slots", F.when(F.col("source_size") > 0, (epochs * F.col("blocks") + part).cast("bigint")).otherwise(0))
     per = per.withColumn("first_slot", F.coalesce(F.sum("slots").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     per = per.withColumn("all_slots", F.sum("slots").over(Window.partitionBy()))
@@ -127,7 +128,7 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
     """One row per row of ``sizes`` (``n``, a number of its own; ``id``, ``source``, ``size``): ``n``, ``id``, ``size``,
     ``source_size``, ``target``, ``taken`` and ``parts``, the word ranges that a part of an epoch takes."""
     sources = targets(sizes, weights, most, block)
-    drawn = slots(sources, seed=seed).join(sources.select("sid", F.expr("slots div blocks").alias("whole")), "sid")
+    drawn = slots(sources, seed=seed).join(sources.select("sid", F.expr("slots div nullif(blocks, 0)").alias("whole")), "sid")
     drawn = drawn.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"), F.max(F.col("epoch") >= F.col("whole")).alias("part"))
     met = placed(sizes, sources, block).join(drawn, ["sid", "block"], "left")
     part = F.when(F.col("part"), F.struct(F.col("lo"), F.col("hi")))
