@@ -4,7 +4,7 @@ A document's set is its distinct shingles of five words. Documents with equal se
 goes on. Its minhashes form two collections of ``halves`` short keys of ``rows`` minhashes each; the keys of the
 tables are all pairs of a key of the first and one of the second collection: 2 * halves * rows minhashes serve
 halves ** 2 tables. A pair with Jaccard similarity J shares a table unless a whole collection disagrees, with a
-probability below 2 * (1 - J ** rows) ** halves: 0.0002 at 0.85 and 1e-7 at 0.93 with the given numbers. Short keys
+probability of at most 2 * (1 - J ** rows) ** halves: 6e-4 at 0.85 and 1e-6 at 0.93 with the given numbers. Short keys
 that only one class has are dropped before keys are paired, so that documents without a relative cost little.
 
 Links inside a bucket are found without making all pairs of a large one:
@@ -14,7 +14,8 @@ Links inside a bucket are found without making all pairs of a large one:
 3. In larger ones, let D(x) be the symmetric difference of x and the centre c. |x - y| = |D(x) - D(y)| for symmetric
    differences, so two linked classes share an element of D or are both linked to c; in the second case step 1 has
    found it all. What is left are the pairs that share elements of D, joined on them by prefix filtering: of the
-   elements in a fixed order (those that c lacks first), a link needs a common one among the first few of both.
+   elements in a fixed order (those that the fewest differences from c have first), a link needs a common one among
+   the first few of both.
 
 Defined results: A-Z are lower-cased; a text of fewer words is one shingle, null and empty texts have an empty set
 and are linked with nothing; rows that share an id are one node; a row without id is linked with nothing and stays.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,7 +107,7 @@ def _linked(common: np.ndarray, n_a: int, n_b: int, percent: int) -> bool:
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
     """``a``, ``b`` and ``linked`` of each pair, by whole sets. With ``differences`` also ``n_a``, ``n_d`` (the size of
-    the symmetric difference) and ``d``, those of its first elements that a link may need, where ``wide`` is true."""
+    the symmetric difference) and ``d``, the difference itself where ``wide`` is true."""
     id_type = pairs.schema["a"].dataType
     fields = [T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("linked", T.BooleanType())]
     if differences:
@@ -124,12 +125,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool
                 if differences:
                     sizes.append(len(a))
                     n_ds.append(len(a) + len(b) - 2 * common)
-                    if wide[i]:
-                        reach = (100 - percent) * len(a) // percent + 1
-                        lacked = np.setdiff1d(a, b, assume_unique=True)[:reach]
-                        ds.append(np.concatenate([lacked, np.setdiff1d(b, a, assume_unique=True)[: reach - len(lacked)]]).view(np.int64))
-                    else:
-                        ds.append(None)
+                    ds.append(np.setxor1d(a, b, assume_unique=True).view(np.int64) if wide[i] else None)
             columns = [batch.column("a"), batch.column("b"), pa.array(said, pa.bool_())]
             if differences:
                 columns += [pa.array(sizes, pa.int64()), pa.array(n_ds, pa.int64()), pa.array(ds, pa.list_(pa.int64()))]
@@ -179,8 +175,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")).filter(fits("n", "m")).select("a", "b").distinct()
 
     # Pairs of large buckets that share an element of their differences from the centre.
-    d = star_links.filter("d is not null").join(found.withColumnRenamed("node", "a").hint("merge"), "a", "left")
-    d = durable(d.select("b", "a", "linked", "n_a", "n_d", F.coalesce("component", "a").alias("component"), F.posexplode("d").alias("at", "element")), "differences")
+    apart = star_links.filter("d is not null and not linked").select("b").distinct()
+    d = star_links.filter("d is not null").join(durable(apart, "apart").hint("merge"), "b", "left_semi").join(found.withColumnRenamed("node", "a").hint("merge"), "a", "left")
+    d = durable(d.select("b", "a", "linked", "n_a", "n_d", F.coalesce("component", "a").alias("component"), F.explode("d").alias("element")), "differences")
+    uses = durable(d.groupBy("b", "element").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1"), "uses")
+    place = F.row_number().over(Window.partitionBy("b", "a").orderBy(F.coalesce("uses", F.lit(1)), "element")) - 1
+    d = d.join(uses.hint("merge"), ["b", "element"], "left").withColumn("at", place)
+    d = durable(d.filter((F.col("uses") > 1) & (F.col("at") <= F.floor(F.col("n_a") * (100 - percent) / percent) + 1)), "prefixes")
     left = d.filter("not linked").toDF(*[f"l_{c}" for c in d.columns])
     reach = F.floor((F.col("l_n_a") + F.col("n_a")) * (100 - percent) / (100 + percent))
     need = F.greatest(F.lit(1), F.ceil((F.col("l_n_d") + F.col("n_d") - reach) / 2))
