@@ -34,7 +34,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (similarity of 0.8 or more) the document with the smallest doc_id stays."""
-    gone = near_duplicates(docs, percent=80, halves=14).filter("not kept").select(F.col("id").alias("gone")).distinct()
+    gone = near_duplicates(docs, percent=80).filter("not kept").select(F.col("id").alias("gone")).distinct()
     return docs.join(durable(gone, "gone"), F.col("doc_id") == F.col("gone"), "left_anti")
 
 

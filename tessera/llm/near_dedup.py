@@ -4,7 +4,7 @@ A document's set is its distinct shingles of five words. Documents with equal se
 goes on. Its minhashes form two collections of ``halves`` short keys of ``rows`` minhashes each; the keys of the
 tables are all pairs of a key of the first and one of the second collection: 2 * halves * rows minhashes serve
 halves ** 2 tables. A pair with Jaccard similarity J shares a table unless a whole collection disagrees, with a
-probability of at most 2 * (1 - J ** rows) ** halves: 6e-4 at 0.85 and 1e-6 at 0.93 with the given numbers. Short keys
+probability of at most 2 * (1 - J ** rows) ** halves: 7e-5 at 0.85 and 1e-8 at 0.93 with the given numbers. Short keys
 that only one class has are dropped before keys are paired, so that documents without a relative cost little.
 
 Links inside a bucket are found without making all pairs of a large one:
@@ -136,7 +136,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool
     return met.select("a", "b", "set_a", "set_b", *(["wide"] if differences else [])).mapInArrow(run, out)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, halves: int = 11, rows: int = 4, small: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, halves: int = 14, rows: int = 4, small: int = 8) -> DataFrame:
     """One row per input row: ``id``, ``n_shingles``, ``component_id`` (the smallest id that links lead to) and
     ``kept`` (whether that is its own). Two sets link if 100 * common >= ``percent`` * union."""
     base = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
