@@ -67,7 +67,8 @@ def with_next(docs: DataFrame, made: Callable[[Iterator[tuple]], Iterator[tuple]
     )
     dealt = rows.withColumn("place", place).withColumn("to", F.explode(F.filter(to, lambda t: t.isNotNull())))
     dealt = dealt.select("to.part", "to.turn", "to.own", "id", "text", F.xxhash64("text").alias("h"))
-    dealt = dealt.repartition(n, "part").sortWithinPartitions("part", "turn", "id", "h").select("part", "own", "id", "text")
+    # One range for each partition: hashed, some partitions would hold several ranges and others none.
+    dealt = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "turn", "id", "h").select("part", "own", "id", "text")
     arrow = to_arrow_schema(out)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
