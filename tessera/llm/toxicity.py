@@ -76,7 +76,7 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, size: int, l2: float = 0.1, steps: int = 200) -> Linear:
+def fit(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, size: int, l2: float = 0.1, steps: int = 300) -> Linear:
     """Accelerated gradient descent on the log loss. The same rows give the same model."""
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
@@ -102,7 +102,9 @@ def fit(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, size: int, l2
         norm = float(np.sqrt(u @ u + v @ v))
         u, v = u / norm, v / norm
     rate = 1 / (0.3 * norm + l2)
+    # The intercept starts where it belongs for a text without features: on its own it moves slowly.
     u, v = np.zeros(size), np.zeros(extra.shape[1])
+    v[-1] = np.log(y.mean() / (1 - y.mean())) * np.sqrt(len(y))
     last_u, last_v = u, v
     for k in range(steps):
         mu, mv = u + (u - last_u) * k / (k + 3), v + (v - last_v) * k / (k + 3)

@@ -376,12 +376,12 @@ def test_classifier_chain():
 
 def test_toxicity_held_out(spark):
     """Fitted on half of the labelled rows, toxic documents of the other half are found and clean ones left alone."""
-    from tessera.llm.queries_toxicity import CATEGORIES
+    from tessera.llm.queries_toxicity import CATEGORIES, THRESHOLD
 
     docs_, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     chain = toxicity.train(docs_, labels.filter("pmod(xxhash64(doc_id), 2) = 0"), CATEGORIES)
     rest = docs_.join(labels.filter("pmod(xxhash64(doc_id), 2) = 1"), "doc_id")
-    n = {(r.toxic, r.said): r["count"] for r in toxicity.score(rest, chain).select("toxic", (F.col("probabilities")[1] >= 0.5).alias("said")).groupBy("toxic", "said").count().collect()}
+    n = {(r.toxic, r.said): r["count"] for r in toxicity.score(rest, chain).select("toxic", (F.col("probabilities")[1] >= THRESHOLD).alias("said")).groupBy("toxic", "said").count().collect()}
     assert n.get((0, True), 0) <= 0.002 * (n[0, False]) and n[1, True] >= 0.8 * (n[1, True] + n.get((1, False), 0))
 
 
