@@ -8,8 +8,8 @@ from tessera.llm.toxicity import Chain, score, train
 
 #: The categories that ``labels`` has, in the chain's order.
 CATEGORIES = {"junk": "1 - quality", "toxic": "toxic"}
-#: On held-out rows clean documents stay below 0.2, and toxic ones that hold any telling word reach 0.3.
-THRESHOLD = 0.3
+#: On held-out rows nearly all clean documents stay below 0.2, and toxic ones that hold a telling word reach 0.4.
+THRESHOLD = 0.4
 
 
 def chain_of(docs: DataFrame, labels: DataFrame) -> Chain:
