@@ -2,27 +2,32 @@
 
 A page is cut into blocks. Markup says that a block is content (inside ``article`` or ``main``), or boilerplate
 (inside menus, headers outside articles, footers, sidebars, forms, or elements whose class, id or role says notice,
-advert, comment and the like), or nothing. Blocks of the last kind are judged by page differencing: pages are paired
-with the next and the previous page of their host in the order of their paths, the hashes of their lines are aligned
-by longest common subsequence, and lines shared with a neighbour are deleted. Pages that have content by markup lose
-their other blocks. So a line that an article shares with a neighbour's article stays.
+advert, comment and the like), or nothing. Pages that have content by markup lose their other blocks, so a line that
+an article shares with a neighbour's article stays. The other pages' blocks of the last kind are judged by page
+differencing: each such page is paired with the nearest pages before and after it, of all pages of its host in the
+order of their paths, the hashes of its lines are aligned with all of theirs by longest common subsequence, and lines
+shared with a neighbour are deleted. Pages whose lines, but for boilerplate by markup, are the same are copies: they
+are passed over, so a run of copies is judged once, by the pages around it, and keeps its text.
 
-Only hashes of lines are moved between machines: pages are cut into ranges of (host, path), sorted, and streamed;
-the first page of each range is also sent to the range before it, and the last to the range after.
+Of pages with content by markup only hashes of lines are moved between machines: pages are cut into ranges of
+(host, path), sorted, and streamed; the nearest page before each range that is no copy of its first page is also sent
+to it, and the nearest one after that is no copy of its last page. The driver sees four pages' keys of each range.
 
 Defined results: null html is empty and gives an empty text; unclosed and cut-off markup ends with the page; a null
-url has an empty host and path; of repeated rows the neighbours are each other, so their undecided lines are deleted.
+url has an empty host and path; repeated rows are copies; a host of copies alone keeps their undecided lines.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html as entities
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,60 +154,103 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     from pyspark.sql.pandas.types import to_arrow_schema
 
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
-    said = T.StructType([rows.schema["id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("lines", T.ArrayType(T.StringType()))])
+    said = T.StructType([
+        rows.schema["id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("lines", T.ArrayType(T.StringType())),
+        T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("body", T.LongType()),
+    ])
     arrow = to_arrow_schema(said)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, open_lines = [], []
+            texts, lines, hashes, bodies = [], [], [], []
             for html in batch.column(2):
                 found = blocks_of(html.as_py())
                 content = [t for r, t in found if r == CONTENT_ROLE]
                 texts.append("\n\n".join(content) if content else None)
-                open_lines.append(None if content else [t for r, t in found if r == UNDECIDED])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(open_lines, pa.list_(pa.string()))], schema=arrow)
+                lines.append(None if content else [t for r, t in found if r == UNDECIDED])
+                hashes.append([_hash(t.encode()) for _, t in found])
+                bodies.append(_hash(array("q", [h for (r, _), h in zip(found, hashes[-1], strict=True) if r != BOILER_ROLE]).tobytes()))
+            made = [pa.array(v, t) for v, t in zip((texts, lines, hashes, bodies), arrow.types[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], schema=arrow)
 
     found = durable(rows.mapInArrow(cut, said), "pages")
     decided = found.filter("text is not null").select("id", "url", "text")
-    return decided.unionByName(by_difference(found.filter("text is null")))
+    return decided.unionByName(by_difference(found.drop("text")))
+
+
+def _hash(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
+
+
+def _neighbours(ranged: DataFrame) -> list[tuple[int, int]]:
+    """(part, n) of the pages outside of each part that its first and its last run of copies are paired with."""
+    key = F.struct("host", "path", "n", "body")
+    light = ranged.select("part", "host", "body", key.alias("key"))
+    ends = light.groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    other = lambda end: ~(F.col("host").eqNullSafe(F.col(f"{end}.host")) & (F.col("body") == F.col(f"{end}.body")))
+    met = light.join(F.broadcast(ends), "part")
+    inner = met.groupBy("part").agg(F.min("first").alias("first"), F.min(F.when(other("first"), F.col("key"))).alias("second"), F.max(F.when(other("last"), F.col("key"))).alias("last_but"), F.max("last").alias("last"))
+    parts = inner.orderBy("part").collect()
+
+    def nearest(end, around: Iterator) -> int | None:
+        """The first page around that is no copy of ``end``, if it is of the same host."""
+        for page in around:
+            if page is not None and (page.host, page.body) != (end.host, end.body):
+                return page.n if page.host == end.host else None
+        return None
+
+    out = []
+    for i, part in enumerate(parts):
+        before = nearest(part.first, (page for p in reversed(parts[:i]) for page in (p.last, p.last_but)))
+        after = nearest(part.last, (page for p in parts[i + 1 :] for page in (p.first, p.second)))
+        out += [(part.part, n) for n in (before, after) if n is not None]
+    return out
 
 
 def by_difference(pages: DataFrame) -> DataFrame:
-    """``id``, ``url`` and ``text`` of pages (``id``, ``url``, ``lines``) without the lines they share with the
-    pages before and after them in their host, in the order of their paths."""
+    """``id``, ``url`` and ``text`` of those pages (``id``, ``url``, ``lines``, ``hashes``, ``body``) that have
+    ``lines``, without the ones that are shared with the nearest pages before and after them in their host, in the
+    order of their paths. ``hashes`` are of all lines of a page; pages of one ``body`` are copies."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    keyed = pages.select("id", "url", "lines", F.monotonically_increasing_id().alias("n"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keyed = keyed.withColumn("hashes", F.transform("lines", lambda t: F.xxhash64(t)))
+    keyed = pages.select("id", F.when(F.col("lines").isNotNull(), F.col("url")).alias("url"), "lines", "hashes", "body", F.monotonically_increasing_id().alias("n"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ranged = keyed.repartitionByRange("host", "path", "n").sortWithinPartitions("host", "path", "n").withColumn("part", F.spark_partition_id())
     ranged = durable(ranged, "ranges")
-    edges = ranged.groupBy("part").agg(F.min(F.struct("host", "path", "n", "hashes")).alias("first"), F.max(F.struct("host", "path", "n", "hashes")).alias("last"))
-    chain = Window.orderBy("part")
-    around = edges.select("part", F.lag("last").over(chain).alias("before"), F.lead("first").over(chain).alias("after"))
-    ends = around.select("part", F.explode(F.filter(F.array("before", "after"), lambda e: e.isNotNull())).alias("e"))
-    ends = ends.select("part", F.lit(None).cast(ranged.schema["id"].dataType).alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("array<string>").alias("lines"), F.col("e.n").alias("n"), F.col("e.host").alias("host"), F.col("e.path").alias("path"), F.col("e.hashes").alias("hashes"))
-    both = ranged.withColumn("own", F.lit(True)).unionByName(ends.withColumn("own", F.lit(False)))
+    around = ranged.sparkSession.createDataFrame(_neighbours(ranged), "to int, n bigint")
+    nothing = {c: F.lit(None).cast(ranged.schema[c].dataType) for c in ("id", "url", "lines")}
+    ends = ranged.drop("part").join(F.broadcast(around), "n").withColumnRenamed("to", "part").withColumns(nothing)
+    both = ranged.unionByName(ends)
     out = T.StructType([ranged.schema["id"], ranged.schema["url"], T.StructField("text", T.StringType())])
     arrow = to_arrow_schema(out)
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = page = None
+        run = before = last = lines = None
+        waiting: list[tuple] = []
 
-        def text_of(page: dict, around: list[dict | None]) -> str:
-            gone: set[int] = set()
-            for other in around:
-                if other is not None and (other["part"], other["host"]) == (page["part"], page["host"]):
-                    gone |= shared(page["hashes"], other["hashes"])
-            return "\n\n".join(t for i, t in enumerate(page["lines"]) if i not in gone)
+        def judged(after: list[int] | None) -> Iterator[pa.RecordBatch]:
+            if not waiting:
+                return
+            own = [_hash(t.encode()) for t in lines]
+            gone = {i for other in (before, after) if other is not None for i in shared(own, other)}
+            text = "\n\n".join(t for i, t in enumerate(lines) if i not in gone)
+            some = max(1, 4_000_000 // (len(text) + 100))
+            for at in range(0, len(waiting), some):
+                ids, urls = zip(*waiting[at : at + some], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, arrow.types[0]), pa.array(urls, arrow.types[1]), pa.array([text] * len(ids), arrow.types[2])], schema=arrow)
 
         for batch in batches:
-            done = []
-            for after in batch.to_pylist():
-                if page is not None and page["own"]:
-                    done.append((page["id"], page["url"], text_of(page, [before, after])))
-                before, page = page, after
-            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(arrow.types)], schema=arrow)
-        if page is not None and page["own"]:
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((page["id"], page["url"], text_of(page, [before])), arrow.types, strict=True)], schema=arrow)
-
-    return both.repartition("part").sortWithinPartitions("part", "host", "path", "n").mapInArrow(differ, out)
+            for page in batch.to_pylist():
+                at = (page["part"], page["host"], page["body"])
+                if at != run:
+                    near = run is not None and at[:2] == run[:2]
+                    yield from judged(page["hashes"] if near else None)
+                    waiting.clear()
+                    run, before, lines = at, last if near else None, None
+                last = page["hashes"]
+                if page["lines"] is not None:
+                    lines = page["lines"]
+                    waiting.append((page["id"], page["url"]))
+        yield from judged(None)
+
+    n = int(ranged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartitionById(n, F.col("part")).sortWithinPartitions("part", "host", "path", "n").mapInArrow(differ, out)

@@ -352,6 +352,22 @@ def test_page_differencing(spark):
     assert extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_page_differencing_meets_articles_and_passes_copies_over(spark):
+    plain = lambda text: f"<div>Menu</div><p>{text}</p><div>Contact us</div>"
+    article = lambda text: f"<div>Menu</div><article><p>{text}</p></article><div>Contact us</div>"
+    rows = [(i, f"http://h.org/{i:03}", plain(f"own text {i}") if i % 5 == 2 else article(f"article {i}")) for i in range(40)]
+    # Copies before, between and after other pages, some with an advert of their own; a host of copies; repeated rows.
+    copy = lambda i: plain("main text") + f'<div class="ad">ad {i % 3}</div>'
+    rows += [(100 + i, f"http://g.org/{i:03}", plain(f"page {i}") if i in (30, 70) else copy(i)) for i in range(100)]
+    rows += [(300 + i, f"http://m.org/{i:03}", plain("main text")) for i in range(30)] + [(400, "http://r.org/a", plain("twice"))] * 2
+    got = defaultdict(set)
+    for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect():
+        got[r.id].add(r.text)
+    assert len(got) == 171 and all(got[i] == {f"own text {i}" if i % 5 == 2 else f"article {i}"} for i in range(40))
+    assert all(got[100 + i] == {f"page {i}" if i in (30, 70) else "main text"} for i in range(100))
+    assert all(got[300 + i] == {"Menu\n\nmain text\n\nContact us"} for i in range(30)) and got[400] == {"Menu\n\ntwice\n\nContact us"}
+
+
 def test_classifier_chain():
     rng = np.random.default_rng(1)
     vocabulary = {f"w{i}": i for i in range(30)}
