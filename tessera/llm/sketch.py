@@ -3,11 +3,15 @@
 A sketch is the set of all shingle hashes below a fixed fraction of the hash range. It grows with the document, so
 sketches of very unequal documents estimate containment, and the sketch of a union is the union of sketches.
 
+A short document may have no hash below the limit. Its sketch is its whole set then, told by its hashes, none of which
+is below the limit: two such sketches are compared exactly. Beside hashes below the limit the others count for nothing,
+so a union may hold some; a sketch of either kind has no likeness to one of the other.
+
 Shingles are of five words, lower-cased A-Z; a text of fewer words has one shingle, all of it. The hashing is done
 on whole Arrow batches at once, by running sums over the batch's bytes, and holds one bounded slice of it at a time.
 
 Defined results: a null or empty text, or one without words, has an empty sketch; the likeness of two empty sketches
-is 1, of an empty and another one 0; rows that repeat have equal sketches.
+is 1, of an empty and another one 0; no other text has an empty sketch; rows that repeat have equal sketches.
 """
 
 from __future__ import annotations
@@ -81,7 +85,14 @@ def text_shingles(text: str, n: int = WORDS) -> np.ndarray:
 
 def sketch(text: str, scale: int = SCALE, n: int = WORDS) -> np.ndarray:
     h = shingle_hashes(word_hashes(np.frombuffer(text.encode(), dtype=np.uint8)), n) >> np.uint64(64 - BITS)
-    return np.unique(h[h < np.uint64(2**BITS // scale)])
+    kept = h[h < np.uint64(2**BITS // scale)]
+    return np.unique(kept if len(kept) else h)
+
+
+def below(kept: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """What counts of a sketch: its hashes below the limit, or if there are none, all of it."""
+    n = int(np.searchsorted(kept, np.uint64(2**BITS // scale)))
+    return kept[:n] if n else kept
 
 
 def written(kept: np.ndarray) -> str:
@@ -98,8 +109,9 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True)) if len(a) and len(b) else 0
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
     """Estimated share of the smaller document's shingles that the other one has."""
+    a, b = below(a, scale), below(b, scale)
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     return common(a, b) / min(len(a), len(b))

@@ -232,6 +232,21 @@ def test_sketches(spark):
     assert len({r.fingerprint for r in got[3] + got[4]}) == 1 and got[1][0].fingerprint == "" and sum(map(len, got.values())) == len(ODD)
 
 
+def test_sketches_of_short_texts(spark):
+    short = [f"some words {i}" for i in range(200)]
+    made = [sketch.sketch(t) for t in short]
+    assert all(len(s) == 1 for s in made) and 100 < sum(s[0] >= 2**sketch.BITS // sketch.SCALE for s in made) < 190
+    assert all(sketch.containment(x, y) == (i == j) for i, x in enumerate(made) for j, y in enumerate(made))
+    nothing, long = sketch.sketch(" "), sketch.sketch(" ".join(f"w{i}" for i in range(4000)))
+    assert all(sketch.containment(x, nothing) == sketch.containment(nothing, x) == 0 for x in made)
+    # A union may hold hashes of short texts: they count only where there is nothing else.
+    assert sketch.containment(sketch.merged([long, *made]), long) == 1 and sketch.containment(sketch.merged(made), made[0]) <= 1
+    high = [s for s in made if s[0] >= 2**sketch.BITS // sketch.SCALE]
+    assert sketch.containment(sketch.merged(high), high[0]) == 1 and sketch.containment(sketch.merged(high[1:]), high[0]) == 0
+    got = fingerprint(docs(spark, [(i, t, "a") for i, t in enumerate(short)])).collect()
+    assert len({r.fingerprint for r in got}) == 200 and all(r.fingerprint for r in got)
+
+
 def test_next_documents(spark, sf_dir):
     out = T.StructType([T.StructField("id", T.LongType()), T.StructField("both", T.StringType())])
 
