@@ -18,7 +18,8 @@ Links inside a bucket are found without making all pairs of a large one:
    the first few of both.
 
 Defined results: A-Z are lower-cased; a text of fewer words is one shingle, null and empty texts have an empty set
-and are linked with nothing; rows that share an id are one node; a row without id is linked with nothing and stays.
+and are linked with nothing; rows that share an id are one node, whatever their texts; a row without id is linked with
+nothing and stays.
 """
 
 from __future__ import annotations
@@ -63,42 +64,44 @@ def short_keys(sets: list[np.ndarray], halves: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, halves: int, rows: int) -> DataFrame:
-    """``id``, ``n`` (the size of its set), ``digest`` (of the set) and ``keys`` of each row (``id``, ``text``)."""
-    out = T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """``id``, ``h``, ``n`` (the size of its set), ``digest`` (of the set) and ``keys`` of each row (``id``, ``h``, ``text``)."""
+    out = T.StructType([docs.schema["id"], T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def batch_of(ids: list, hs: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             some = [s for s in sets if len(s)]
             keys = iter(short_keys(some, halves, rows).view(np.int64)) if some else iter(())
             made = [next(keys) if len(s) else None for s in sets]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(made, pa.list_(pa.int64()))], names=out.names)
+            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(hs, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(made, pa.list_(pa.int64()))], names=out.names)
 
         for batch in batches:
-            id_type, ids, sets, size = batch.column(0).type, [], [], 0
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            id_type, ids, hs, sets, size = batch.column(0).type, [], [], [], 0
+            for id_, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids.append(id_)
+                hs.append(h)
                 sets.append(text_shingles(text.as_py()))
                 size += len(sets[-1])
                 if size > SLICE:
-                    yield batch_of(ids, sets)
-                    ids, sets, size = [], [], 0
+                    yield batch_of(ids, hs, sets)
+                    ids, hs, sets, size = [], [], [], 0
             if ids:
-                yield batch_of(ids, sets)
+                yield batch_of(ids, hs, sets)
 
-    return docs.select("id", "text").mapInArrow(signed, out)
+    return docs.select("id", "h", "text").mapInArrow(signed, out)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id`` and ``shingles`` (ascending, eight bytes each) of the rows whose id is wanted, one for each id."""
-    out = T.StructType([docs.schema["id"], T.StructField("shingles", T.BinaryType())])
+    """``rep`` and ``shingles`` (ascending, eight bytes each) of each class of ``wanted`` (``rep``, and ``id`` and ``h``
+    of a row of it)."""
+    out = T.StructType([wanted.schema["rep"], T.StructField("shingles", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=out.names)
 
-    few = docs.join(wanted.hint("merge"), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
-    return durable(few.select("id", "text").mapInArrow(cut, out), "sets")
+    few = docs.join(wanted.hint("merge"), ["id", "h"]).dropDuplicates(["id", "h", "rep"])
+    return durable(few.select("rep", "text").mapInArrow(cut, out), "sets")
 
 
 def _linked(common: np.ndarray, n_a: int, n_b: int, percent: int) -> bool:
@@ -131,8 +134,8 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool
                 columns += [pa.array(sizes, pa.int64()), pa.array(n_ds, pa.int64()), pa.array(ds, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
-    met = met.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
+    met = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
+    met = met.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
     return met.select("a", "b", "set_a", "set_b", *(["wide"] if differences else [])).mapInArrow(run, out)
 
 
@@ -143,7 +146,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = base.withColumn("h", F.xxhash64("text"))
     signed = durable(signatures(base, halves, rows), "signatures")
     real = signed.filter("n > 0 and id is not null")
-    classes = durable(real.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = real.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = durable(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+
+    # Classes that share an id are linked by it.
+    digest = F.xxhash64("digest")
+    many = durable(signed.filter("id is not null").groupBy("id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).filter("low <> high").select("id"), "many")
+    holders = real.select("id", "digest").join(many.hint("merge"), "id", "left_semi").join(classes.select("digest", "rep").hint("merge"), "digest")
+    holders = durable(holders.select("id", "rep").distinct(), "holders")
+    firsts = durable(holders.groupBy("id").agg(F.min("rep").alias("a")), "firsts")
+    by_id = holders.join(firsts.hint("merge"), "id").filter("a <> rep").select("a", F.col("rep").alias("b"))
 
     # Short keys that two classes share, by class; the centre of a bucket has the most common ones.
     each = classes.select("rep", "n", F.explode("keys").alias("key"))
@@ -161,10 +173,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fits = lambda p, q: (F.col(p) * 100 >= F.col(q) * percent) & (F.col(q) * 100 >= F.col(p) * percent)
     stars = inside.filter("rep <> centre").groupBy(F.col("rep").alias("a"), F.col("centre").alias("b"), "n", "n_centre").agg(F.max(F.col("members") > small).alias("wide"))
     stars = durable(stars.filter(F.col("wide") | fits("n", "n_centre")).select("a", "b", "wide"), "stars")
-    wanted = inside.select("rep").distinct().join(base.groupBy(F.col("id").alias("rep")).agg(F.first("h").alias("h")), "rep").select(F.col("rep").alias("id"), "h")
+    wanted = inside.select("rep").distinct().join(classes.select("rep", "row.id", "row.h").hint("merge"), "rep")
     sets = _sets(base, wanted)
     star_links = durable(compared(stars, sets, percent, differences=True), "starred")
-    links = star_links.filter("linked").select("a", "b")
+    links = star_links.filter("linked").select("a", "b").unionByName(by_id)
     found = durable(components(links), "stars_found")
 
     # Pairs of small buckets that are not connected yet and were not compared.
@@ -194,9 +206,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = durable(compared(rest, sets, percent).filter("linked").select("a", "b"), "links")
     found = durable(components(links.unionByName(more)), "components") if not more.isEmpty() else found
 
-    # Every row's component, by way of its class; rows that share an id are joined through it as well.
-    named = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    # Every row's component, by way of its class and named by its smallest id; an empty row's by way of its id.
+    placed = durable(found.withColumnRenamed("node", "rep").join(classes.select("rep", "row.id").hint("merge"), "rep"), "placed")
+    least = durable(placed.groupBy("component").agg(F.min("id").alias("least")), "least_ids")
+    placed = placed.join(least.hint("merge"), "component").select("rep", "least")
+    named = classes.select("digest", "rep", "row.id").join(placed.hint("merge"), "rep", "left").select("digest", "rep", F.coalesce("least", "id").alias("component"))
     named = durable(named, "named")
-    alone = signed.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+    held = durable(firsts.join(named.select(F.col("rep").alias("a"), "component").hint("merge"), "a").select("id", "component"), "held")
+    alone = signed.filter("n = 0 or id is null").join(held.hint("merge"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component_id"))
     rest = signed.filter("n > 0 and id is not null").join(named.hint("merge"), "digest").select("id", "n", F.col("component").alias("component_id"))
     return rest.unionByName(alone).select("id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -315,6 +315,16 @@ def test_near_duplicates_meet_brute_force(spark, percent):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rows = [(i % 100, t) for i, t in copies(seed=8, families=40, n=3)]
+    apart = [" ".join(f"{c}{w}" for w in range(100)) for c in "pq"]
+    rows += [(500, apart[0]), (500, apart[1]), (501, apart[0] + " more"), (502, apart[1] + " more"), (503, "alone"), (502, ""), (504, None)]
+    got = near_dedup.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows])).collect()
+    want = brute_components(rows, 85)
+    assert len(got) == len(rows) and {(r.id, r.component_id) for r in got} == set(want.items())
+    assert want[501] == want[502] == 500 and 1 < len(set(want.values())) < len(want)
+
+
 def test_large_buckets_lose_no_link(spark):
     """With ``small`` at 2, whole families go through centres and differences alone."""
     rows = copies(seed=11, families=3, n=150)
