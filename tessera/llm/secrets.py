@@ -3,10 +3,12 @@
 Base findings are three kinds of pattern matches. Beyond them, long tokens that mix letters and digits are
 candidates. Every finding's value is hashed, and hashes are counted by distinct repositories and distinct owners
 over the whole corpus: a value of many owners is a widely copied example, a value of one owner looks like a live
-credential. Candidates of one owner are added to the findings as kind ``token``; base findings always stay.
+credential. Candidates of one owner are added to the findings as kind ``token``; base findings always stay. How many
+repositories have a value is given for each finding: a value of one owner in many of its repositories is less likely
+to be live than one that is seen once.
 
-Defined results: a null text is empty; a null owner or repository is one of its own; an empty table gives an empty
-result; repeated rows are scanned and counted like any other.
+Defined results: a null text is empty; a null owner or repository is one of its own; repositories of different owners
+are different; an empty table gives an empty result; repeated rows are scanned and counted like any other.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ["assign", "access", "hex", "token"]
 
 SPAN = "array<struct<start bigint, rank int, stop bigint, digest bigint>>"
+COUNTS = "array<struct<start bigint, rank int, n_owners bigint, n_repos bigint, n_uses bigint>>"
 
 
 def _matches(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
@@ -57,7 +60,8 @@ def joined(spans: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", wide_owners: int = 3) -> DataFrame:
     """One row per input row: ``id``; ``base`` and ``added`` spans (start, rank in KINDS, stop, digest of the value);
-    ``n_wide`` and ``n_live``, its findings whose value has at least ``wide_owners`` owners, or just one."""
+    ``n_wide`` and ``n_live``, its findings whose value has at least ``wide_owners`` owners, or just one; and ``counts``
+    (start, rank, n_owners, n_repos, n_uses) of each finding's value, those of candidates that are not added too."""
     text = F.col("text")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{owner_col}`").alias("owner"), F.col(f"`{repo_col}`").alias("repo"), text_of(text_col).alias("text"))
     base = F.concat(_matches(text, ASSIGN, 0, 2, ASSIGN_MIN), _matches(text, ACCESS, 1), _matches(text, HEX, 2))
@@ -77,6 +81,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     judged = met.groupBy("n").agg(
         F.collect_list(F.when((F.col("span.rank") == 3) & live, F.col("span"))).alias("added"),
         F.count(F.when(F.col("n_owners") >= wide_owners, 1)).alias("n_wide"), F.count(F.when(live, 1)).alias("n_live"),
+        F.array_sort(F.collect_list(F.struct("span.start", "span.rank", "n_owners", "n_repos", "n_uses"))).alias("counts"),
     )
     out = found.join(judged, "n", "left")
-    return out.select("id", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"), F.coalesce("n_wide", F.lit(0)).cast("bigint").alias("n_wide"), F.coalesce("n_live", F.lit(0)).cast("bigint").alias("n_live"))
+    return out.select("id", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"), F.coalesce("n_wide", F.lit(0)).cast("bigint").alias("n_wide"), F.coalesce("n_live", F.lit(0)).cast("bigint").alias("n_live"), F.coalesce("counts", F.array().cast(COUNTS)).alias("counts"))

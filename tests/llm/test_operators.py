@@ -96,6 +96,14 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_secrets_are_counted_by_repositories(spark):
+    once, often = "Zx9Qw8Er7Ty6Ui5Op4As3", "Bn7Mv6Cx5Zl4Kj3Hg2Fd1"
+    texts = [(1, f"{once} deadbeefdeadbeef0", "a"), (2, "deadbeefdeadbeef0", "b"), (3, None, "a")] + [(i, f"{often} {often}", "hot") for i in range(10, 30)]
+    rows = {r.id: [tuple(c) for c in r.counts] for r in secrets.scan(docs(spark, texts)).collect()}
+    assert rows[1] == [(0, 3, 1, 1, 1), (22, 2, 2, 2, 2)] and rows[2] == [(0, 2, 2, 2, 2)] and rows[3] == []
+    assert all(rows[i] == [(0, 3, 1, 20, 40), (22, 3, 1, 20, 40)] for i in range(10, 30))
+
+
 RULES = [Rule.of("block", "net/"), Rule.of("allow", "example.net/en/"), Rule.of("block", "example.com/de/"), Rule.of("allow", "org/fr/"), Rule.of("block", "a.b.org/x"), Rule.of("allow", "a.b.org/xy/z"), Rule.of("allow", "b.org")]
 URLS = ["http://a.example.net/en/x?q#f", "https://EXAMPLE.net/en", "x.net", "http://x.net", "http://x.net/", "http://example.com/de/", "http://notexample.com/de/", "ftp://q.org/fr/1", "http://a.b.org/xyz", "http://c.a.b.org/xy/z1", "http://b.org", "http://a.b.org?x=/x", None, "", "://", "http://net/", "http://u@example.net:80/en/", "http://é.net/ü"]
 
