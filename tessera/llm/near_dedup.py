@@ -11,11 +11,10 @@ Links inside a bucket are found without making all pairs of a large one:
 
 1. Every class is compared with the bucket's centre, the one whose short keys are the most common.
 2. Buckets of at most ``small`` classes whose members are not yet connected compare those pairs.
-3. In larger ones, let D(x) be the symmetric difference of x and the centre c. |x - y| = |D(x) - D(y)| for symmetric
-   differences, so two linked classes share an element of D or are both linked to c; in the second case step 1 has
-   found it all. What is left are the pairs that share elements of D, joined on them by prefix filtering: of the
-   elements in a fixed order (those that the fewest differences from c have first), a link needs a common one among
-   the first few of both.
+3. The members of larger ones that are not yet connected are joined by prefix filtering on their whole sets: in the
+   order of how many of them hold a shingle, two sets that are linked have one in common among the first of both, at
+   places that leave room for as many common ones as a link needs. Each member's set is opened once, whatever the
+   number and size of its buckets; shingles that one component holds alone make no pair and are only counted.
 
 Defined results: A-Z are lower-cased; a text of fewer words is one shingle, null and empty texts have an empty set
 and are linked with nothing; rows that share an id are one node, whatever their texts; a row without id is linked with
@@ -29,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,35 +107,58 @@ def _linked(common: np.ndarray, n_a: int, n_b: int, percent: int) -> bool:
     return 100 * common >= percent * (n_a + n_b - common)
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
-    """``a``, ``b`` and ``linked`` of each pair, by whole sets. With ``differences`` also ``n_a``, ``n_d`` (the size of
-    the symmetric difference) and ``d``, the difference itself where ``wide`` is true."""
+def _fits(p: str, q: str, percent: int) -> Column:
+    """Whether sets of these sizes can be linked."""
+    return (F.col(p) * 100 >= F.col(q) * percent) & (F.col(q) * 100 >= F.col(p) * percent)
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a``, ``b`` and ``linked`` of each pair, by whole sets."""
     id_type = pairs.schema["a"].dataType
-    fields = [T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("linked", T.BooleanType())]
-    if differences:
-        fields += [T.StructField("n_a", T.LongType()), T.StructField("n_d", T.LongType()), T.StructField("d", T.ArrayType(T.LongType()))]
-    out = T.StructType(fields)
+    out = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("linked", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said, sizes, n_ds, ds = [], [], [], []
-            wide = batch.column("wide").to_pylist() if differences else None
-            for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
+            said = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                said.append(_linked(common, len(a), len(b), percent))
-                if differences:
-                    sizes.append(len(a))
-                    n_ds.append(len(a) + len(b) - 2 * common)
-                    ds.append(np.setxor1d(a, b, assume_unique=True).view(np.int64) if wide[i] else None)
-            columns = [batch.column("a"), batch.column("b"), pa.array(said, pa.bool_())]
-            if differences:
-                columns += [pa.array(sizes, pa.int64()), pa.array(n_ds, pa.int64()), pa.array(ds, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=out.names)
+                said.append(_linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(said, pa.bool_())], names=out.names)
 
     met = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
     met = met.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
-    return met.select("a", "b", "set_a", "set_b", *(["wide"] if differences else [])).mapInArrow(run, out)
+    return met.select("a", "b", "set_a", "set_b").mapInArrow(run, out)
+
+
+def _opened(sets: DataFrame) -> DataFrame:
+    """``rep``, ``n``, ``component`` and ``elements`` of sets as bytes (``shingles``)."""
+    out = T.StructType([sets.schema["rep"], sets.schema["n"], sets.schema["component"], T.StructField("elements", T.ArrayType(T.LongType()))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            elements = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("component"), pa.array(elements, pa.list_(pa.int64()))], names=out.names)
+
+    return sets.select("rep", "n", "component", "shingles").mapInArrow(read, out)
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a`` < ``b``) of ``members`` (``rep``, ``n``, ``component``) of different components, every linked one
+    among them."""
+    d = _opened(members.join(sets.hint("merge"), "rep")).select("rep", "n", "component", F.explode("elements").alias("element"))
+    d = durable(d, "elements")
+    uses = d.groupBy("element").agg(F.count(F.lit(1)).alias("uses"), F.min("component").alias("low"), F.max("component").alias("high"))
+    uses = durable(uses.filter("low <> high").select("element", "uses"), "uses")
+    own = Window.partitionBy("rep")
+    d = d.join(uses.hint("merge"), "element")
+    # Elements that only one component holds come first in the order; they take a place each.
+    d = d.withColumn("at", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("uses", "element")) - 1)
+    d = durable(d.filter((F.col("at") * 100 <= F.col("n") * (100 - percent))), "prefixes")
+    left = d.toDF(*[f"l_{c}" for c in d.columns])
+    need = F.ceil((F.col("l_n") + F.col("n")) * percent / (100 + percent) - F.lit(1e-6))
+    on = (F.col("l_element") == F.col("element")) & (F.col("l_rep") < F.col("rep")) & (F.col("l_component") != F.col("component"))
+    on = on & (F.col("l_at") + need <= F.col("l_n")) & (F.col("at") + need <= F.col("n")) & _fits("l_n", "n", percent)
+    return left.join(d.hint("merge"), on).select(F.col("l_rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, halves: int = 14, rows: int = 4, small: int = 8) -> DataFrame:
@@ -170,36 +192,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = durable(buckets.select("bucket", "members", (-F.col("best.low")).alias("centre"), F.col("best.n").alias("n_centre")), "buckets")
     inside = durable(tables.join(buckets.hint("merge"), "bucket").select("bucket", "members", "centre", "n_centre", "rep", "n"), "inside")
 
-    fits = lambda p, q: (F.col(p) * 100 >= F.col(q) * percent) & (F.col(q) * 100 >= F.col(p) * percent)
-    stars = inside.filter("rep <> centre").groupBy(F.col("rep").alias("a"), F.col("centre").alias("b"), "n", "n_centre").agg(F.max(F.col("members") > small).alias("wide"))
-    stars = durable(stars.filter(F.col("wide") | fits("n", "n_centre")).select("a", "b", "wide"), "stars")
+    stars = inside.filter("rep <> centre").filter(_fits("n", "n_centre", percent)).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    stars = durable(stars, "stars")
     wanted = inside.select("rep").distinct().join(classes.select("rep", "row.id", "row.h").hint("merge"), "rep")
     sets = _sets(base, wanted)
-    star_links = durable(compared(stars, sets, percent, differences=True), "starred")
-    links = star_links.filter("linked").select("a", "b").unionByName(by_id)
+    links = durable(compared(stars, sets, percent).filter("linked").select("a", "b").unionByName(by_id), "starred")
     found = durable(components(links), "stars_found")
 
-    # Pairs of small buckets that are not connected yet and were not compared.
+    # Members of buckets that are not yet connected: pairs of small ones, prefixes of large ones.
     where = F.coalesce("component", "rep")
-    placed = inside.filter(F.col("members") <= small).join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("bucket", "rep", "n", where.alias("component"))
-    split = placed.groupBy("bucket").agg(F.collect_set("component").alias("cs"), F.collect_list(F.struct("rep", "n", "component")).alias("ms")).filter("size(cs) > 1")
+    placed = inside.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("bucket", "members", "rep", "n", where.alias("component"))
+    split = placed.filter(F.col("members") <= small).groupBy("bucket").agg(F.collect_set("component").alias("cs"), F.collect_list(F.struct("rep", "n", "component")).alias("ms")).filter("size(cs) > 1")
     pairs = split.select("ms", F.explode("ms").alias("p")).select("p", F.explode("ms").alias("q")).filter("p.rep < q.rep and p.component <> q.component")
-    pairs = pairs.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")).filter(fits("n", "m")).select("a", "b").distinct()
-
-    # Pairs of large buckets that share an element of their differences from the centre.
-    apart = star_links.filter("d is not null and not linked").select("b").distinct()
-    d = star_links.filter("d is not null").join(durable(apart, "apart").hint("merge"), "b", "left_semi").join(found.withColumnRenamed("node", "a").hint("merge"), "a", "left")
-    d = durable(d.select("b", "a", "linked", "n_a", "n_d", F.coalesce("component", "a").alias("component"), F.explode("d").alias("element")), "differences")
-    uses = durable(d.groupBy("b", "element").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1"), "uses")
-    place = F.row_number().over(Window.partitionBy("b", "a").orderBy(F.coalesce("uses", F.lit(1)), "element")) - 1
-    d = d.join(uses.hint("merge"), ["b", "element"], "left").withColumn("at", place)
-    d = durable(d.filter((F.col("uses") > 1) & (F.col("at") <= F.floor(F.col("n_a") * (100 - percent) / percent) + 1)), "prefixes")
-    left = d.filter("not linked").toDF(*[f"l_{c}" for c in d.columns])
-    reach = F.floor((F.col("l_n_a") + F.col("n_a")) * (100 - percent) / (100 + percent))
-    need = F.greatest(F.lit(1), F.ceil((F.col("l_n_d") + F.col("n_d") - reach) / 2))
-    on = (F.col("l_b") == F.col("b")) & (F.col("l_element") == F.col("element")) & (F.col("l_a") != F.col("a")) & (F.col("l_component") != F.col("component"))
-    on = on & (F.col("l_at") + need <= F.col("l_n_d")) & (F.col("at") + need <= F.col("n_d")) & fits("l_n_a", "n_a")
-    wide = left.join(d.hint("merge"), on).select(F.least("l_a", "a").alias("a"), F.greatest("l_a", "a").alias("b")).distinct()
+    pairs = pairs.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m")).filter(_fits("n", "m", percent)).select("a", "b").distinct()
+    large = durable(placed.filter(F.col("members") > small), "large")
+    apart = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    wide = prefix_pairs(large.join(durable(apart, "apart").hint("merge"), "bucket", "left_semi").select("rep", "n", "component").distinct(), sets, percent)
 
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = durable(pairs.unionByName(wide).distinct().join(done, ["a", "b"], "left_anti"), "pairs")

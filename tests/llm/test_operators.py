@@ -334,12 +334,36 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
 
 
 def test_large_buckets_lose_no_link(spark):
-    """With ``small`` at 2, whole families go through centres and differences alone."""
+    """With ``small`` at 2, whole families go through centres and prefixes alone."""
     rows = copies(seed=11, families=3, n=150)
     got = near_dedup.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows]), small=2).collect()
     assert {r.id: r.component_id for r in got} == brute_components(rows, 85)
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_prefixes_lose_no_link(spark, percent):
+    """Sets about the threshold, some of all sizes, each a component of its own or one with its neighbour."""
+    rng = np.random.default_rng(percent)
+    sets = []
+    for f in range(4):
+        base = rng.integers(0, 2**62, 40 + 30 * f)
+        for _ in range(40):
+            keep = base[rng.random(len(base)) > rng.random() * 0.15]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**62, rng.integers(0, 8))])))
+    sets += [np.array([1]), np.array([1]), np.array([1, 2]), base[:7], base[:6]]
+    rows = [(i, len(s), i - i % 2, bytearray(s.astype(np.uint64).tobytes())) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "rep bigint, n bigint, component bigint, shingles binary")
+    got = {(r.a, r.b) for r in near_dedup.prefix_pairs(df.drop("shingles"), df.select("rep", "shingles"), percent).collect()}
+    want = set()
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            if i // 2 != j // 2:
+                common = len(np.intersect1d(x, sets[j]))
+                if 100 * common >= percent * (len(x) + len(sets[j]) - common):
+                    want.add((i, j))
+    assert len(want) > 100 and want <= got and len(got) < len(sets) ** 2 / 6
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (105, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
