@@ -35,15 +35,22 @@ s5 AS (SELECT *, coalesce(sum(3 * source_size) FILTER (isfull) OVER (), 0)::BIGI
 s6 AS (SELECT source, sid, source_size, (source_size + {BLOCK - 1}) // {BLOCK} AS blocks,
   CASE WHEN isfull THEN (3 * source_size)::DOUBLE ELSE ((total - full_cap) * w)::DOUBLE / open_w END AS target FROM s5),
 s7 AS (SELECT *, CASE WHEN source_size > 0 THEN (floor(target / source_size) * blocks + floor((target - floor(target / source_size) * source_size) * blocks / source_size + 0.5))::BIGINT ELSE 0 END AS slots FROM s6),
-sources AS (SELECT *, coalesce(sum(slots) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_slot FROM s7),
-own AS (SELECT sid, blocks, unnest(range(slots)) AS own FROM sources WHERE slots > 0),
-dealt AS (SELECT sid, blocks, own // blocks AS epoch, own % blocks AS block FROM own),
+sources AS MATERIALIZED (SELECT *, sum(slots) OVER ()::BIGINT AS all_slots, coalesce(sum(slots) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_slot FROM s7),
+places AS (SELECT i // {mixing.SHARD} AS shard, i % {mixing.SHARD} AS pos, n FROM (SELECT unnest(range(n)) AS i, n FROM (SELECT max(all_slots) AS n FROM sources))),
+powers AS (SELECT shard, pos, n, {_hash("pos", f"shard * 31 + {SEED}")} % {mixing.Q - 1} + 1 AS x FROM places),
+chances AS (SELECT shard, pos, floor(((x * x % {mixing.Q}) * (x * x % {mixing.Q}) % {mixing.Q} * x % {mixing.Q})::DOUBLE / {mixing.Q} * n)::BIGINT AS u FROM powers),
+hits AS MATERIALIZED (SELECT shard, pos, sid, slots, blocks, row_number() OVER (PARTITION BY sid ORDER BY shard, pos) - 1 AS own FROM chances JOIN sources ON first_slot <= u AND u < first_slot + slots),
+surplus AS (SELECT shard, pos, row_number() OVER (ORDER BY shard % {mixing.SURPLUS}, shard, pos) AS g FROM hits WHERE own >= slots),
+lacking AS (SELECT sid, blocks, own, row_number() OVER (ORDER BY sid, own) AS g FROM (SELECT sid, blocks, unnest(range(slots)) AS own FROM sources) ANTI JOIN hits USING (sid, own)),
+dealt AS (SELECT shard, sid, blocks, own // blocks AS epoch, own % blocks AS block FROM (
+  SELECT shard, sid, blocks, own FROM hits WHERE own < slots UNION ALL SELECT shard, sid, blocks, own FROM surplus JOIN lacking USING (g))),
 {_permutation("dealt", "d", "block", "blocks", f"sid * 31 + epoch + {SEED}")},
-drawn AS (SELECT sid, block, count(*) AS times FROM d{mixing.ROUNDS} GROUP BY sid, block),
-met AS (SELECT sizes.*, sid, source_size, target, {_hash(f"abs(doc_id % {mixing.P})", "1")} % {mixing.BUCKETS} AS bucket FROM sizes JOIN sources ON sizes.source IS NOT DISTINCT FROM sources.source),
+drawn AS (SELECT sid, block, count(*) AS times, min(shard) AS first_shard, max(shard) AS last_shard FROM d{mixing.ROUNDS} GROUP BY sid, block),
+met AS (SELECT sizes.*, sid, source_size, target, {_hash(f"abs(doc_id % {mixing.P})", "size + 1")} % {mixing.BUCKETS} AS bucket FROM sizes JOIN sources ON sizes.source IS NOT DISTINCT FROM sources.source),
 placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY bucket, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM met),
 each AS (SELECT *, unnest(CASE WHEN size > 0 THEN range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1) ELSE [-1] END) AS block FROM placed)
-SELECT doc_id, size, source_size, target, coalesce(sum(times * (least(start + size, (block + 1) * {BLOCK}) - greatest(start, block * {BLOCK}))), 0)::BIGINT AS taken
+SELECT doc_id, size, source_size, target, coalesce(sum(times * (least(start + size, (block + 1) * {BLOCK}) - greatest(start, block * {BLOCK}))), 0)::BIGINT AS taken,
+  coalesce(min(first_shard), -1) AS first_shard, coalesce(max(last_shard), -1) AS last_shard
 FROM each LEFT JOIN drawn USING (sid, block) GROUP BY doc_id, size, source_size, target
 """
 
@@ -52,4 +59,5 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     sizes = durable(sizes.withColumn("n", F.monotonically_increasing_id()), "sizes")
     taken = mixing.plan(sizes, block=BLOCK, seed=SEED)
-    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    first = F.array_min(F.transform("places", lambda p: p["shard"]))
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.coalesce(first, F.lit(-1)).alias("first_shard"), F.coalesce("last_shard", F.lit(-1)).alias("last_shard"))

@@ -160,17 +160,39 @@ def test_permutations_are_permutations(spark):
         assert sorted(r.x for r in x.collect()) == list(range(n))
 
 
-def test_slots_fill_shards(spark):
-    sizes = spark.createDataFrame([(i, i, f"s{i % 3}", 640) for i in range(60)], "n bigint, id bigint, source string, size bigint")
+def test_slots_fill_shards_by_multinomial_draws(spark):
+    sizes = spark.createDataFrame([(i, i, f"s{i % 3}", 6400) for i in range(60)] + [(90, 90, "tiny", 40)], "n bigint, id bigint, source string, size bigint")
     sources = mixing.targets(sizes, block=16)
+    quotas = {r.sid: r.slots for r in sources.collect()}
+    drawn = mixing.draws(sources, shard=100).collect()
     rows = mixing.slots(sources, shard=100).collect()
-    places = sorted((r.shard, r["at"]) for r in rows)
-    assert places == [(i // 100, i % 100) for i in range(len(rows))]
-    want = {r.sid: r.slots / len(rows) for r in sources.collect()}
-    for s in range(len(rows) // 100):
-        for sid, share in want.items():
-            n = sum(r.sid == sid for r in rows if r.shard == s)
-            assert abs(n - 100 * share) < 5 * (100 * share * (1 - share)) ** 0.5 + 1
+    every = sum(quotas.values())
+    for got in (drawn, rows):
+        assert sorted((r.shard, r["at"]) for r in got) == [(i // 100, i % 100) for i in range(every)]
+    # Draws are free of the quotas; what was drawn beyond a quota has gone to another source, all else stays.
+    count = lambda rs, sid: sum(r.sid == sid for r in rs)
+    assert any(count(drawn, s) != q for s, q in quotas.items()) and all(count(rows, s) == q for s, q in quotas.items())
+    before, moved = {(r.shard, r["at"]): r.sid for r in drawn}, sum(max(0, count(drawn, s) - q) for s, q in quotas.items())
+    assert sum(before[r.shard, r["at"]] != r.sid for r in rows) == moved < every / 20
+    full = every // 100
+    for sid, quota in quotas.items():
+        p = quota / every
+        counts = [sum(r.sid == sid for r in drawn if r.shard == s) for s in range(full)]
+        assert abs(np.mean(counts) - 100 * p) < 5 * (100 * p * (1 - p) / full) ** 0.5 + 0.1
+        # Counts vary as multinomial counts do: by 100 p (1 - p), not less as by a round deal.
+        assert quota < 100 or 0.5 < np.var(counts) / (100 * p * (1 - p)) < 1.7
+    # Each epoch goes over each block of the source once.
+    blocks = {r.sid: r.blocks for r in sources.collect()}
+    for sid, n in blocks.items():
+        for e in range(quotas[sid] // n):
+            assert sorted(r.block for r in rows if r.sid == sid and r.epoch == e) == list(range(n))
+
+
+def test_mix_comes_in_the_order_of_slots(spark):
+    df = docs(spark, [(i, f"w{i} " * 40, f"s{i % 2}") for i in range(120)])
+    rows = mixing.mix(df, block=16, shard=32, slot_col="slot").withColumn("part", F.spark_partition_id()).collect()
+    places = [(r.part, r.slot.shard, r.slot["at"]) for r in rows]
+    assert places == sorted(places) and len({r.slot.shard for r in rows}) > 5
 
 
 def test_packing_round_trip(spark):
