@@ -34,8 +34,9 @@ from pyspark.sql import types as T
 from tessera.llm.common import durable
 from tessera.llm.url_filter import host_of, path_of
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_QUOTE_OR_END = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 # Element names of the HTML standard, and common words of class, id and role attributes.
@@ -44,31 +45,89 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BOILER = frozenset("nav footer aside form head menu dialog button".split())
 CONTENT = frozenset("article main".split())
 SAYS_BOILER = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|comments?|disqus|replies|reply|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|header|share|sharing|social|related|recommended|subscribe|newsletter|popup|modal|login|signup|search|form|contentinfo|complementary|pagination)(?:$|[\s_-])", re.I)
-#: Words that inside an article mark its own parts rather than boilerplate.
-OWN_PARTS = re.compile(r"header|form|side|widget|notice|nav\w*|search", re.I)
+#: Whole classes, ids and roles that inside an article mark what is not its own.
+NOT_OWN = frozenset("ad ads advert advertisement comments comment-list reader-comments disqus_thread navigation complementary contentinfo".split())
+#: Elements whose text is no text of the page.
+RAW = {n: re.compile(rf"</{n}[\s/>]", re.I) for n in "script style noscript template svg iframe textarea select".split()}
+#: End tags that close what is open below them, whatever stands between.
+CLOSES_ALL = frozenset("body html header section div".split()) | BOILER | CONTENT
 #: Elements that an opening tag of the same kind ends.
 SELF_ENDING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTENT_ROLE, UNDECIDED, BOILER_ROLE = 1, 0, -1
 
 
+def _said(attributes: str) -> list[str]:
+    """The values of class, id and role."""
+    return [a or b or c for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role")]
+
+
 def _role(name: str, attributes: str, above: int) -> int:
     """What the markup says of an element's blocks, below one of which it says ``above``."""
     if above == BOILER_ROLE or name in BOILER:
         return BOILER_ROLE
     if attributes and name not in CONTENT and name != "body":
-        words = [w for _, a, b, c in _ATTRIBUTE.findall(attributes) for w in SAYS_BOILER.findall(a or b or c)]
-        if any(above != CONTENT_ROLE or not OWN_PARTS.fullmatch(w) for w in words):
+        said = _said(attributes)
+        if any(w.lower() in NOT_OWN for v in said for w in v.split()) or above != CONTENT_ROLE and any(map(SAYS_BOILER.search, said)):
             return BOILER_ROLE
     if name == "header" and above != CONTENT_ROLE:
         return BOILER_ROLE
     return CONTENT_ROLE if name in CONTENT else above
 
 
+def tags_of(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it is an end tag, attributes) of each tag; comments, declarations and elements with
+    raw text have no name. One pass: a tag ends at the first ``>`` outside of quotes that open a value and close."""
+    at, closes = 0, {'"': True, "'": True}
+    while (start := html.find("<", at)) >= 0:
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = len(html) if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        if html[start + 1 : start + 2] in ("!", "?"):
+            end = html.find(">", start)
+            at = len(html) if end < 0 else end + 1
+            yield start, at, "", False, ""
+            continue
+        ends = html[start + 1 : start + 2] == "/"
+        m = _NAME.match(html, start + 1 + ends)
+        if m is None:
+            at = start + 1
+            continue
+        at = m.end()
+        while True:
+            q = _QUOTE_OR_END.search(html, at)
+            if q is None:
+                last = at = len(html)
+                break
+            at = q.end()
+            if q[0] == ">":
+                last = q.start()
+                break
+            k = q.start() - 1
+            while html[k].isspace():
+                k -= 1
+            if html[k] == "=" and closes[q[0]]:
+                close = html.find(q[0], at)
+                # What is not found from here on is not found later either.
+                closes[q[0]] = close >= 0
+                at = close + 1 if close >= 0 else at
+        name, attributes = m[0].lower(), html[m.end() : last]
+        if not ends and name in RAW:
+            close = RAW[name].search(html, at)
+            end = -1 if close is None else html.find(">", close.start())
+            at = len(html) if end < 0 else end + 1
+            name = ""
+        yield start, at, name, ends, attributes
+
+
 def blocks_of(html: str) -> list[tuple[int, str]]:
     """(role, text) of each block in page order; texts are decoded, their white space is one space."""
     out: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}  # of the open elements, by name
+    bounds: list[int] = []  # places of open sections, which a stray end tag inside them doesn't end
     role, at = UNDECIDED, 0
 
     def flush() -> None:
@@ -78,36 +137,37 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             if text:
                 out.append((role, text))
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            parts.append(html[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name = name.lower()
+    def pop() -> None:
+        places[stack.pop()[0]].pop()
+        if bounds and bounds[-1] == len(stack):
+            bounds.pop()
+
+    for start, end, name, ends, attributes in tags_of(html):
+        if start > at:
+            parts.append(html[at:start])
+        at = end
         if name == "br":
             parts.append(" ")
-        if name in VOID and name != "hr":
+        if not name or name in VOID and name != "hr":
             continue
         if name in BLOCKS or name in BOILER:
             flush()
-        if m[0][1] == "/":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                # A stray end tag inside a section doesn't end the section.
-                if stack[i][0] in CONTENT or stack[i][0] in BOILER or stack[i][0] == "div":
-                    if name not in CONTENT and name not in BOILER and name not in ("div", "body", "html", "header", "section"):
-                        break
-        elif name != "hr" and not m[0].endswith("/>"):
-            if ends := SELF_ENDING.get(name):
+        if ends:
+            if places.get(name):
+                below = places[name][-1]
+                if name in CLOSES_ALL or not bounds or bounds[-1] <= below:
+                    while len(stack) > below:
+                        pop()
+        elif name != "hr" and not attributes.endswith("/"):
+            if others := SELF_ENDING.get(name):
                 while stack and stack[-1][0] not in BLOCKS:
-                    stack.pop()
-                if stack and stack[-1][0] in ends:
-                    stack.pop()
-            stack.append((name, _role(name, m[3], stack[-1][1] if stack else UNDECIDED)))
+                    pop()
+                if stack and stack[-1][0] in others:
+                    pop()
+            if name in CONTENT or name in BOILER or name == "div":
+                bounds.append(len(stack))
+            places.setdefault(name, []).append(len(stack))
+            stack.append((name, _role(name, attributes, stack[-1][1] if stack else UNDECIDED)))
         role = stack[-1][1] if stack else UNDECIDED
     if at < len(html):
         parts.append(html[at:])

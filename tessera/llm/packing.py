@@ -31,6 +31,8 @@ from tessera.llm.common import durable, text_of
 
 #: Words whose ids a worker remembers (about 200 bytes each); beyond this it starts afresh.
 REMEMBERED = 500_000
+#: Bytes of the longest word that is remembered.
+LONGEST = 64
 #: Characters that are tokenised at a time.
 SLICE = 500_000
 #: Ends of words after which a full stop or comma is encoded on its own: ASCII letters and digits, Latin letters of two bytes.
@@ -102,7 +104,13 @@ class WordTokenizer:
         if unknown := set().union(*split).difference(self.known):
             self._learn(unknown)
         known = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, words)), dtype="<u4") for words in split]
+        out = [np.frombuffer(b"".join(map(known, words)), dtype="<u4") for words in split]
+        for w in unknown:
+            if len(w) > LONGEST:
+                for part in (w, stem := w.rstrip(b".,"), w[len(stem) :]):
+                    if part:
+                        self.known.pop(part, None)
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

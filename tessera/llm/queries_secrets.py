@@ -27,16 +27,17 @@ more AS (
   SELECT * FROM found f WHERE rank = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.start < f.stop AND f.start < b.stop)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM more),
-owners AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS n_owners FROM every GROUP BY value),
-judged AS (SELECT every.*, n_owners FROM every JOIN owners USING (value)),
+owners AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS n_owners, count(DISTINCT coalesce(source, chr(0)) || chr(1) || doc_id) AS n_repos FROM every GROUP BY value),
+judged AS (SELECT every.*, n_owners, n_repos, n_owners >= 3 OR n_repos >= 32 AS wide FROM every JOIN owners USING (value)),
 docs AS (
   SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
-    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3 OR n_owners = 1) AS spans,
-    count(*) FILTER (n_owners >= 3) AS n_wide, count(*) FILTER (n_owners = 1) AS n_live
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3 OR n_owners = 1 AND NOT wide) AS spans,
+    count(*) FILTER (wide) AS n_wide, count(*) FILTER (n_owners = 1 AND NOT wide) AS n_live, max(n_owners) AS owners, max(n_repos) AS repos
   FROM judged GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_wide, 0) AS n_wide, coalesce(n_live, 0) AS n_live
+  coalesce(spans, '') AS spans, coalesce(n_wide, 0) AS n_wide, coalesce(n_live, 0) AS n_live,
+  coalesce(owners, 0) AS owners, coalesce(repos, 0) AS repos
 FROM texts LEFT JOIN docs USING (doc_id)
 """
 )
@@ -48,7 +49,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(rank: int):
         return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("bigint")
 
+    def most(of: str):
+        return F.coalesce(F.array_max(F.transform("counts", lambda c: c[of])), F.lit(0))
+
     return found.select(
         F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), "n_wide", "n_live",
+        most("n_owners").alias("owners"), most("n_repos").alias("repos"),
     )

@@ -2,10 +2,10 @@
 
 Base findings are three kinds of pattern matches. Beyond them, long tokens that mix letters and digits are
 candidates. Every finding's value is hashed, and hashes are counted by distinct repositories and distinct owners
-over the whole corpus: a value of many owners is a widely copied example, a value of one owner looks like a live
-credential. Candidates of one owner are added to the findings as kind ``token``; base findings always stay. How many
-repositories have a value is given for each finding: a value of one owner in many of its repositories is less likely
-to be live than one that is seen once.
+over the whole corpus: a value of many owners, or of very many repositories of one, is a widely copied example; a
+value of one owner in a few repositories looks like a live credential. Such candidates are added to the findings as
+kind ``token``; base findings always stay. How many owners and repositories have a value is given for each finding.
+A table of documents has no column for repositories: there each document counts as one.
 
 Defined results: a null text is empty; a null owner or repository is one of its own; repositories of different owners
 are different; an empty table gives an empty result; repeated rows are scanned and counted like any other.
@@ -58,9 +58,10 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(kind, s["rank"]), s["start"], s["stop"])), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", wide_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", wide_owners: int = 3, wide_repos: int = 32) -> DataFrame:
     """One row per input row: ``id``; ``base`` and ``added`` spans (start, rank in KINDS, stop, digest of the value);
-    ``n_wide`` and ``n_live``, its findings whose value has at least ``wide_owners`` owners, or just one; and ``counts``
+    ``n_wide``, its findings whose value has at least ``wide_owners`` owners or ``wide_repos`` repositories, and
+    ``n_live``, those of one owner that are not wide; and ``counts``
     (start, rank, n_owners, n_repos, n_uses) of each finding's value, those of candidates that are not added too."""
     text = F.col("text")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{owner_col}`").alias("owner"), F.col(f"`{repo_col}`").alias("repo"), text_of(text_col).alias("text"))
@@ -77,10 +78,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     counted = durable(by_owner.groupBy("digest").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("uses").alias("n_uses")), "owners")
 
     met = each.select("n", "span", F.col("span.digest").alias("digest")).join(counted.hint("merge"), "digest")
-    live = F.col("n_owners") == 1
+    wide = (F.col("n_owners") >= wide_owners) | (F.col("n_repos") >= wide_repos)
+    live = (F.col("n_owners") == 1) & ~wide
     judged = met.groupBy("n").agg(
         F.collect_list(F.when((F.col("span.rank") == 3) & live, F.col("span"))).alias("added"),
-        F.count(F.when(F.col("n_owners") >= wide_owners, 1)).alias("n_wide"), F.count(F.when(live, 1)).alias("n_live"),
+        F.count(F.when(wide, 1)).alias("n_wide"), F.count(F.when(live, 1)).alias("n_live"),
         F.array_sort(F.collect_list(F.struct("span.start", "span.rank", "n_owners", "n_repos", "n_uses"))).alias("counts"),
     )
     out = found.join(judged, "n", "left")

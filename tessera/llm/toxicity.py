@@ -158,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
     sample = said.orderBy(F.xxhash64("id"), "id", *[f"y{k}" for k in range(len(names))]).limit(max_train)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
     # Broadcast: max_train rows of numbers. One row of each text: words of a text that is copied often would tell too much.
-    rows = durable(rows.join(F.broadcast(sample), "id").dropDuplicates(["text", *[f"y{k}" for k in range(len(names))]]), "labelled")
+    rows = rows.join(F.broadcast(sample), "id").groupBy("text", *[f"y{k}" for k in range(len(names))]).agg(F.min("id").alias("id"))
+    rows = durable(rows, "labelled")
     counts = T.StructType([T.StructField("feature", T.StringType()), T.StructField("n", T.LongType())] + [T.StructField(f"n{k}", T.LongType()) for k in range(len(names))])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,14 +117,18 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: st
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """As :func:`judge`, for rule lists of any size: each distinct (host, path) meets the rules of its host and of
-    the host's parents in an equi-join, then the longest one that fits stays."""
+    """As :func:`judge`, for rule lists of any size. Each distinct (host, path) meets the lengths that the paths of its
+    host's rules have, and of its parents' rules; each prefix of such a length meets the one rule that has it, in an
+    equi-join. So a host with many rules and many urls meets no pairs of them. The longest rule that fits stays."""
     url = F.col(f"`{url_col}`")
     parts = pages.select(packed(pages).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
     labels = F.split("host", r"\.", -1)
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     asked = parts.select("host", "path").distinct().withColumn("parent", F.explode(parents))
-    r = rules.select(F.col("host").alias("parent"), F.col("path").alias("prefix"), F.col("verdict").alias("v"))
-    rank = F.struct(F.size(F.split("parent", r"\.", -1)), F.length("prefix"), (F.col("v") == "block").cast("int"), F.concat("parent", "prefix").alias("rule"), F.col("v"))
-    best = asked.join(r, "parent").filter(F.expr("startswith(path, prefix)")).groupBy("host", "path").agg(F.max(rank).alias("best"))
+    r = rules.select(F.col("host").alias("parent"), F.col("path").alias("prefix"), F.col("verdict").alias("v")).groupBy("parent", "prefix").agg(F.max(F.struct((F.col("v") == "block").cast("int"), "v")).alias("v"))
+    lengths = r.groupBy("parent").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    asked = asked.join(lengths, "parent").withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))))
+    asked = asked.select("host", "path", "parent", F.substring("path", F.lit(1), F.col("n")).alias("prefix"))
+    rank = F.struct(F.size(F.split("parent", r"\.", -1)), F.length("prefix"), F.concat("parent", "prefix").alias("rule"), F.col("v.v"))
+    best = asked.join(r, ["parent", "prefix"]).groupBy("host", "path").agg(F.max(rank).alias("best"))
     return parts.join(best, ["host", "path"], "left").select("row", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))

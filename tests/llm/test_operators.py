@@ -17,7 +17,10 @@ from tessera.llm.html_text import blocks_of, extract, shared
 from tessera.llm.line_dedup import drop_repeated_lines
 from tessera.llm.packing import Packer, chained, pack, tokenizer
 from tessera.llm.queries_packing import tokenizer_path
+from tessera.llm.queries_html import op10_html_text
+from tessera.llm.queries_packing import op2_packing
 from tessera.llm.queries_sketch import edited, op8_fingerprints
+from tessera.llm.queries_toxicity import THRESHOLD, chain_of, op4_toxicity
 from tessera.llm.url_filter import Rule, UrlTrie, judge, judge_by_join
 
 #: Extra columns with names that operators use themselves.
@@ -60,11 +63,30 @@ def test_exact_dedup_odd_rows(spark):
 def test_exact_dedup_index_is_reopened_and_not_shuffled(spark):
     index = DigestIndex(spark, buckets=3)
     deduplicate(docs(spark, ODD), index)
-    again = DigestIndex(spark, name="reopened_index", path=index.path, buckets=3)
-    assert again.known().count() == 5
-    left = docs(spark, ODD).select(F.sha2("text", 256).alias("digest")).repartition(3, "digest")
-    plan = left.join(again.known().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
-    assert "SortMergeJoin" in plan and plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
+    index.close()
+    # Another session may have another number of shuffle partitions: the index keeps its own.
+    spark.conf.set("spark.sql.shuffle.partitions", 5)
+    try:
+        again = DigestIndex(spark, path=index.path)
+        assert again.known().count() == 5 and again.layout["buckets"] == 3
+        for wrong in ({"buckets": 5}, {"id_type": "string"}):
+            with pytest.raises(ValueError):
+                DigestIndex(spark, path=index.path, **wrong)
+        left = docs(spark, ODD).select(F.sha2("text", 256).alias("digest")).repartition(3, "digest")
+        plan = left.join(again.known().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 1
+        many = [(i, f"text {i % 150}", "a") for i in range(200)]
+        assert sum(r.kept for r in deduplicate(docs(spark, many), again, batch="one").collect()) == 150
+        # The same batch again gets the same rows; as another batch it has nothing new.
+        assert sum(r.kept for r in deduplicate(docs(spark, many), again, batch="one").collect()) == 150 and again.known().count() == 155
+        assert sum(r.kept for r in deduplicate(docs(spark, many), again, batch="two").collect()) == 0
+        again.compact()
+        assert again.known().count() == 155 and len(again.known().inputFiles()) <= 3
+        assert not any(r.kept for r in deduplicate(docs(spark, many), DigestIndex(spark, path=index.path)).collect())
+        with pytest.raises(ValueError):
+            deduplicate(docs(spark, many).withColumn("doc_id", F.col("doc_id").cast("string")), again)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
 def test_line_dedup(spark):
