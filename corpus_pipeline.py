@@ -29,7 +29,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return survivors(deduplicate(docs, DigestIndex(spark)))
+    with DigestIndex(spark, id_type=dict(docs.dtypes)["doc_id"]) as index:
+        return survivors(deduplicate(docs, index, batch="documents"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
