@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +85,21 @@ def write_note(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(new, at)
 
 
+#: What operators remember in a Python worker, by operator: how to forget it.
+REMEMBERED: dict[str, Callable[[], object]] = {}
+
+
+def lean(operator: str) -> None:
+    """A Python worker serves one operator after the other: what the others remember goes, and memory that is free goes
+    back to the system."""
+    for name, forget in REMEMBERED.items():
+        if name != operator:
+            forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only one C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def packed(df: DataFrame) -> Column:
     """The whole input row as one struct, so that no name of ours can clash with one of its columns."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -20,7 +20,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, durable, packed, text_of
@@ -103,6 +103,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     return durable(per.select("source", "sid", "source_size", "target", "blocks", "slots", "first_slot", "all_slots"), "targets")
 
 
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def draws(sources: DataFrame, shard: int = SHARD, seed: int = 17) -> DataFrame:
     """One row per slot: ``shard`` and ``at`` (its place there), the ``sid`` it drew, with ``slots`` and ``blocks`` of
     that source, and ``own``, the draw's number among the source's along the shards."""
@@ -115,7 +119,8 @@ def draws(sources: DataFrame, shard: int = SHARD, seed: int = 17) -> DataFrame:
     slot = slot.select("shard", "at", F.floor(F.col("x5").cast("double") / Q * every).alias("u")).withColumn("r", F.expr(f"u div {width}"))
     some = sources.filter("slots > 0").select("sid", "slots", "blocks", "first_slot")
     ranges = some.withColumn("r", F.explode(F.expr(f"sequence(first_slot div {width}, (first_slot + slots - 1) div {width})")))
-    drawn = slot.join(ranges, "r").filter("first_slot <= u and u < first_slot + slots")
+    # A fixed number of tasks here and below: by their few bytes, Spark would put all slots into one.
+    drawn = slot.join(ranges, "r").filter("first_slot <= u and u < first_slot + slots").repartition(_tasks(spark), "shard")
     each = Window.partitionBy("shard", "sid")
     drawn = drawn.withColumn("k", (F.row_number().over(each.orderBy("at")) - 1).cast("bigint")).withColumn("n", F.count(F.lit(1)).over(each))
     drawn = durable(drawn.select("shard", "at", "sid", "slots", "blocks", "k", "n"), "draws")
@@ -142,9 +147,10 @@ def slots(sources: DataFrame, shard: int = SHARD, seed: int = 17) -> DataFrame:
     short = short.withColumn("own", F.explode(F.expr("sequence(have, slots - 1)"))).select((F.col("first") + F.col("own") - F.col("have")).alias("g"), "sid", "blocks", "own")
     filled = over.join(short, "g").select("shard", "at", "sid", "blocks", "own")
     dealt = drawn.filter("own < slots").select("shard", "at", "sid", "blocks", "own").unionByName(filled)
-    dealt = dealt.withColumn("epoch", F.expr("own div blocks"))
+    dealt = dealt.repartition(_tasks(sources.sparkSession), "shard", "at").withColumn("epoch", F.expr("own div blocks"))
     block = permuted(F.col("own") % F.col("blocks"), F.col("blocks"), F.col("sid") * 31 + F.col("epoch") + seed)
-    return dealt.select("shard", "at", "sid", "epoch", block.alias("block"))
+    # Never null, and said to be so: else a join on it would test that, before the slots are dealt out to tasks.
+    return dealt.select("shard", "at", "sid", "epoch", F.coalesce(block, F.lit(0).cast("bigint")).alias("block"))
 
 
 def placed(sizes: DataFrame, sources: DataFrame, block: int = 128) -> DataFrame:
@@ -169,18 +175,18 @@ def placed(sizes: DataFrame, sources: DataFrame, block: int = 128) -> DataFrame:
 def plan(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 128, seed: int = 17, shard: int = SHARD) -> DataFrame:
     """One row per row of ``sizes`` (``n``, a number of its own; ``id``, ``source``, ``size``): ``n``, ``id``, ``size``,
     ``source_size``, ``target``, ``taken``, ``parts``, the word ranges that a part of an epoch takes, ``places``, for
-    each epoch the first slot (``shard``, ``at``) that holds words of it, and ``last_shard``."""
+    each epoch the first slot that holds words of it, counted along the shards, and ``last_place``, the last of all."""
     sources = targets(sizes, weights, most, block)
     drawn = slots(sources, shard, seed).join(sources.select("sid", F.expr("slots div nullif(blocks, 0)").alias("whole")), "sid")
     # A block has a slot for each epoch, most + 1 at the most.
-    place = F.struct("shard", "at")
+    place = F.col("shard") * shard + F.col("at")
     firsts = [F.min(F.when(F.col("epoch") == e, place)).alias(f"place{e}") for e in range(most + 1)]
-    drawn = drawn.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"), F.max(F.col("epoch") >= F.col("whole")).alias("part"), F.max("shard").alias("last_shard"), *firsts)
+    drawn = drawn.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"), F.max(F.col("epoch") >= F.col("whole")).alias("part"), F.max(place).alias("last_place"), *firsts)
     met = placed(sizes, sources, block).join(drawn, ["sid", "block"], "left")
     part = F.when(F.col("part"), F.struct(F.col("lo"), F.col("hi")))
     out = met.groupBy("n", "id", "size", "sid", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("times") * (F.col("hi") - F.col("lo"))), F.lit(0)).cast("bigint").alias("taken"), F.array_sort(F.collect_list(part)).alias("parts"),
-        F.max("last_shard").alias("last_shard"), *[F.min(f"place{e}").alias(f"place{e}") for e in range(most + 1)],
+        F.max("last_place").alias("last_place"), *[F.min(f"place{e}").alias(f"place{e}") for e in range(most + 1)],
     )
     return out.withColumn("places", F.array(*[f"place{e}" for e in range(most + 1)])).drop(*[f"place{e}" for e in range(most + 1)])
 
@@ -202,6 +208,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
     copies = F.array_repeat(F.col("text"), whole)
     texts = F.when((F.col("part_words") > 0) & (F.col("part_words") < F.col("size")), F.concat(copies, cut)).otherwise(copies)
     out = met.select("row", "places", F.posexplode(texts).alias("epoch", "text"))
-    out = out.select("row", "text", F.get("places", "epoch").alias("slot")).sortWithinPartitions("slot.shard", "slot.at")
-    named = [F.col("slot").alias(slot_col)] if slot_col else []
+    out = out.select("row", "text", F.get("places", "epoch").alias("place")).sortWithinPartitions("place")
+    named = [F.struct(F.expr(f"place div {shard}").alias("shard"), (F.col("place") % shard).alias("at")).alias(slot_col)] if slot_col else []
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], *named)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import durable, text_of
+from tessera.llm.common import durable, lean, text_of
 from tessera.llm.components import components
 from tessera.llm.sketch import finish, text_shingles
 
@@ -86,6 +86,7 @@ def signatures(docs: DataFrame, halves: int, rows: int) -> DataFrame:
                     ids, hs, sets, size = [], [], [], 0
             if ids:
                 yield batch_of(ids, hs, sets)
+        lean("near_dedup")
 
     return docs.select("id", "h", "text").mapInArrow(signed, out)
 
@@ -96,6 +97,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     out = T.StructType([wanted.schema["rep"], T.StructField("shingles", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean("near_dedup")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=out.names)
 
@@ -124,6 +126,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 said.append(_linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(said, pa.bool_())], names=out.names)
+        lean("near_dedup")
 
     met = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
     met = met.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
@@ -138,6 +141,7 @@ def _opened(sets: DataFrame) -> DataFrame:
         for batch in batches:
             elements = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("component"), pa.array(elements, pa.list_(pa.int64()))], names=out.names)
+        lean("near_dedup")
 
     return sets.select("rep", "n", "component", "shingles").mapInArrow(read, out)
 

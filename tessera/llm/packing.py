@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import durable, text_of
+from tessera.llm.common import REMEMBERED as FORGET
+from tessera.llm.common import durable, lean, text_of
 
 #: Words whose ids a worker remembers (about 200 bytes each); beyond this it starts afresh.
 REMEMBERED = 500_000
@@ -114,6 +115,7 @@ class WordTokenizer:
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
+FORGET["packing"] = _TOKENIZERS.clear
 
 
 def tokenizer(path: str) -> WordTokenizer:

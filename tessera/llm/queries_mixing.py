@@ -59,5 +59,5 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     sizes = durable(sizes.withColumn("n", F.monotonically_increasing_id()), "sizes")
     taken = mixing.plan(sizes, block=BLOCK, seed=SEED)
-    first = F.array_min(F.transform("places", lambda p: p["shard"]))
-    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.coalesce(first, F.lit(-1)).alias("first_shard"), F.coalesce("last_shard", F.lit(-1)).alias("last_shard"))
+    shards = {"first_shard": F.array_min("places"), "last_shard": F.col("last_place")}
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", *[F.coalesce(F.floor(p / mixing.SHARD).cast("bigint"), F.lit(-1)).alias(k) for k, p in shards.items()])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import durable, text_of
+from tessera.llm.common import durable, lean, text_of
 
 _WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -163,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
     counts = T.StructType([T.StructField("feature", T.StringType()), T.StructField("n", T.LongType())] + [T.StructField(f"n{k}", T.LongType()) for k in range(len(names))])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean("toxicity")
         n, per = Counter(), [Counter() for _ in names]
         for batch in batches:
             ys = [batch.column(f"y{k}").to_pylist() for k in range(len(names))]
@@ -212,5 +213,6 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", out_col: str =
         for batch in batches:
             rows = [featurize(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text_col))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(model.predict(rows)), pa.list_(pa.float64()))], schema=arrow)
+        lean("toxicity")
 
     return docs.mapInArrow(scored, out)
