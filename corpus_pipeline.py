@@ -24,7 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chain = chain_of(docs, table(spark, sf_dir, "labels"))
     at = f"probabilities of {', '.join(docs.columns)}"  # no column has this name
     toxic = F.get(F.col(f"`{at}`"), list(CATEGORIES).index("toxic")) >= THRESHOLD
-    return score(docs, chain, out_col=at).filter(~toxic).drop(at)
+    # Written here, where whole rows go to Python and back in small batches: large ones take memory outside of the heap.
+    return durable(score(docs, chain, out_col=at).filter(~toxic).drop(at), "clean")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
