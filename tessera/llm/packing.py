@@ -36,8 +36,10 @@ REMEMBERED = 500_000
 LONGEST = 64
 #: Characters that are tokenised at a time.
 SLICE = 500_000
-#: Ends of words after which a full stop or comma is encoded on its own: ASCII letters and digits, Latin letters of two bytes.
-_LETTER = re.compile(rb"[a-z0-9]$|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]$")
+#: Signs that no token shares with a letter or digit before them, ASCII or a Latin letter of two bytes: from there on the
+#: text is encoded alone. Not the apostrophe, which letters may follow in a token, nor the bar of special tokens, nor the
+#: separator.
+_SIGN = re.compile(rb"[!-&(-/:-@\[-`{}](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: How byte-level tokenizers write bytes as characters: printable Latin-1 stands for itself, others follow from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -74,20 +76,14 @@ class WordTokenizer:
             self.known[w] = raw[4 * begin : 4 * end]
 
     def _learn(self, words: set[bytes]) -> None:
-        known, new, ends_with = self.known, [], []
+        known, new = self.known, []
         for w in words:
             if b"~" in w:
                 known[w] = np.array(self._encode(w.decode()), dtype="<u4").tobytes()
-            elif w[-1] in b".," and _LETTER.search(stem := w.rstrip(b".,")):
-                ends_with.append((w, stem))
-                if stem not in words and stem not in known:
-                    new.append(stem)
-                if (end := w[len(stem) :]) not in words and end not in known:
-                    new.append(end)
             else:
                 new.append(w)
         ascii_letters, letters, others = [], [], []
-        for w in dict.fromkeys(new):
+        for w in new:
             (ascii_letters if w.isalpha() else letters if _LETTERS.fullmatch(w) else others).append(w)
         for words, text in ((ascii_letters, None), (letters, _BYTE_CHARS)):
             if words:
@@ -95,11 +91,9 @@ class WordTokenizer:
                 self._parted(words, self.letters.encode_batch_fast([joined.translate(text) if text else joined], add_special_tokens=False)[0].ids)
         if others:
             self._parted(others, self._encode(b" ~ ".join(others).decode()))
-        for w, stem in ends_with:
-            known[w] = known[stem] + known[w[len(stem) :]]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        split = [_SIGN.sub(rb" \g<0>", t.encode().lower().replace(b"\n", b" ")).split(b" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {b"": b""}
         if unknown := set().union(*split).difference(self.known):
@@ -108,9 +102,7 @@ class WordTokenizer:
         out = [np.frombuffer(b"".join(map(known, words)), dtype="<u4") for words in split]
         for w in unknown:
             if len(w) > LONGEST:
-                for part in (w, stem := w.rstrip(b".,"), w[len(stem) :]):
-                    if part:
-                        self.known.pop(part, None)
+                self.known.pop(w, None)
         return out
 
 

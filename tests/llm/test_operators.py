@@ -15,7 +15,7 @@ from tessera.llm.exact_dedup import DigestIndex, deduplicate, survivors
 from tessera.llm.fingerprints import fingerprint, with_next
 from tessera.llm.html_text import blocks_of, extract, shared
 from tessera.llm.line_dedup import drop_repeated_lines
-from tessera.llm.packing import Packer, chained, pack, tokenizer
+from tessera.llm.packing import Packer, WordTokenizer, chained, pack, tokenizer
 from tessera.llm.queries_packing import tokenizer_path
 from tessera.llm.queries_html import op10_html_text
 from tessera.llm.queries_packing import op2_packing
@@ -258,6 +258,21 @@ def test_packer_is_best_fit():
 ODD_WORDS = ["", "x́, y", "a”, b", "×, é, ü. ß.", "don't, it's.    tab\there,.", "~ a~b ~~, c ~.", "É À Ð", "\x1c\x85\x0b x", "İstanbul, K", "<|endoftext|> <|startoftext|>, x", "12,3.4 5,", "日本語、テキスト。 русский, текст.", "ﬁ, ½, ².", ". , ., a. a, é"]
 
 
+def test_word_tokenizer_remembers_words_without_their_signs():
+    t = WordTokenizer(tokenizer_path())
+    texts = ["Zebrano zebrano. zebrano, zebrano*** (zebrano) zebrano's zebrano\u00e9. zebrano\u00d7.", "zebrano", "a.b,c;d-e_f/g:h", "1.5,2% 3$ 10.'s it's,'s x='t", "e\u0301. e\u0301=\u0338 a\u226e a<\u0338 \u00fc\u0308!", "A~. ~.a .~ a!~b", "\u00c9. \u0130. \u03a3. \u00df?", "a.\u0301 1\u0301. \u4e2d. a\u00a0. .. a..b"]
+    for _ in range(2):
+        for text, ids in zip(texts, t.ids(texts), strict=True):
+            assert ids.tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert {w for w in t.known if w.startswith(b"zebrano")} == {b"zebrano", b"zebrano's", "zebrano\u00e9".encode(), "zebrano\u00d7.".encode()}
+    import random
+
+    r = random.Random(5)
+    for _ in range(300):
+        text = "".join(r.choice(["<|endoftext|>", *"aZ09\u00e9\u00c9\u00df\u00d7\u0301\u0338'.,*%~ \n\t-=<&\u4e2d\u00a0\u2019sSt|>"]) for _ in range(r.randint(1, 40)))
+        assert t.ids([text])[0].tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_word_tokenizer_equals_the_whole():
     t = tokenizer(tokenizer_path())
     for _ in range(2):
