@@ -47,12 +47,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the checkpoint folder and read it back.
 
-    This cuts the lineage in a way that survives lost executors. The folder goes when the driver's JVM ends.
+    This cuts the lineage in a way that survives lost executors. The folder goes when the driver's JVM ends; until then
+    it takes disk, so the codec is one that makes texts small.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,14 @@ def test_toxicity_drops_toxic_rows_only(spark, sf_dir, steps):
     assert all(before[r.doc_id] == r.asDict() for r in steps[1].collect())
 
 
+def test_texts_take_little_disk_between_stages(spark, sf_dir, steps, monkeypatch):
+    """Toxicity writes no copy of its own, and tables are written with a codec that makes texts small."""
+    files = steps[2].inputFiles()
+    assert files and {pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).column(0).compression for f in files if pq.ParquetFile(f.removeprefix("file://")).num_row_groups} == {"ZSTD"}
+    monkeypatch.setattr(cp, "durable", None)
+    assert cp.toxicity(spark, steps[0], sf_dir).count() == steps[1].count()
+
+
 def test_exact_dedup_keeps_the_largest_id(steps):
     best = {}
     for r in steps[1].collect():
